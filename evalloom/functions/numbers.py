@@ -23,9 +23,10 @@ def binomial_stderr(p: Column, n: Column) -> Column:
 
 
 def quantile(values: Column, q: float) -> Column:
-    """Of an array: the element at floor(q n), from 0, of the sorted values."""
+    """Of an array: the element at floor(q n), from 0, of the sorted values; null if it is empty."""
     n = F.size(values)
-    return F.try_element_at(F.sort_array(values), F.least(F.floor(n * F.lit(q)).cast("int"), n - 1) + 1)
+    place = F.least(F.floor(n * F.lit(q)).cast("int"), n - 1)
+    return F.get(F.sort_array(values), place)
 
 
 def paired_p(improved: Column, worsened: Column) -> Column:

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Characters of words, answer patterns and flags whose results must equal published ones.
 WORD = r"[\p{L}\p{N}_]+"
@@ -17,12 +18,12 @@ QUESTIONS = r"(?ms)^Question: (.*?)\nAnswer:"
 LETTERS = "ABCDEF"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc_fold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
@@ -74,7 +75,8 @@ def words(t: Column) -> Column:
 
 
 def grams(tokens: Column, n: int) -> Column:
-    """Distinct runs of n words, joined by spaces; none if there are fewer words."""
+    """Distinct runs of n words, joined by spaces; none if there are fewer words. tokens is a column of
+    the table (a lambda can't hold the UDF in words())."""
     runs = F.transform(F.sequence(F.lit(0), F.size(tokens) - n), lambda i: F.array_join(F.slice(tokens, i + 1, n), " "))
     return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 

@@ -10,7 +10,8 @@ from ..functions import text
 
 def gram_rows(texts: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """id, gram: the distinct n-grams of each text."""
-    return texts.select(F.col(id_col).alias("id"), F.explode(text.grams(text.words(F.col(text_col)), n)).alias("gram"))
+    tokens = texts.select(F.col(id_col).alias("id"), text.words(F.col(text_col)).alias("tokens"))
+    return tokens.select("id", F.explode(text.grams(F.col("tokens"), n)).alias("gram"))
 
 
 def overlap_pairs(tests: DataFrame, refs: DataFrame) -> DataFrame:

@@ -25,8 +25,8 @@ def only_once(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def pivoted_filters(log: DataFrame, key: str, value: str) -> DataFrame:
-    """One row a key with the value under each of the two filters; keys that lack one are left out."""
-    return log.groupBy(key).pivot("filter", ["flexible-extract", "strict-match"]).agg(F.first(value)).toDF(key, "flexible", "strict").where("flexible is not null and strict is not null")
+    """One row a key with the (smallest) value under each of the two filters; keys that lack one are left out."""
+    return log.groupBy(key).pivot("filter", ["flexible-extract", "strict-match"]).agg(F.min(value)).toDF(key, "flexible", "strict").where("flexible is not null and strict is not null")
 
 
 def transitions(pairs: DataFrame, group: str) -> DataFrame:

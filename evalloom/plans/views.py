@@ -23,7 +23,7 @@ VIEWS = {
         from lineitem""",
     "answers": """select e.event_id as id, e.event_type as task, cast(e.user_id % 5 + 1 as int) as seed, e.value as value,
         e.value > 50 as ok, e.user_id as user_id, e.props as props, e.ts as ts from events e""",
-    "seed_scores": """select task, 'acc' as metric, lim.n as limit_n, seed, avg(case when ok then 1.0 else 0.0 end) as value, count(*) as items
+    "seed_scores": """select task, 'acc' as metric, lim.n as limit_n, seed, avg(cast(ok as int)) as value, count(*) as items
         from (select event_id as id, event_type as task, cast(user_id % 5 + 1 as int) as seed, value > 50 as ok from events) a
         join (select 500 as n union all select 2000 as n union all select 1000000 as n) lim on a.id <= lim.n
         group by task, lim.n, seed""",

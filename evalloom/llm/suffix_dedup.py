@@ -10,7 +10,7 @@ a prefix of the parse from that trigger on. Dictionary and parse are put in orde
 suffixes: phrases by their bytes read backwards, so that phrases with a common suffix are
 neighbours, and parse suffixes by their bytes; with the lengths that neighbours share, both orders
 together give each window's class in corpus order. Windows are equal exactly when they fall in one
-run of either order. Both are made per block of windows that agree in the bytes after the trigger.
+run of either order. Both are made per block of windows that agree in the bytes next to the trigger, so only the rest is sent.
 """
 
 from __future__ import annotations
@@ -24,7 +24,9 @@ from . import common
 from . import textbytes as tb
 
 #: Bytes of a trigger, and one position in how many is a trigger.
-W, ONE_IN = 16, 40
+W, ONE_IN = 16, 64
+#: Distances before a trigger that one row covers: such windows share all but this many bytes.
+STEP = 64
 #: Windows of a block that one sort takes; blocks end between keys.
 BLOCK = 40_000
 
@@ -41,6 +43,23 @@ def _triggers(roll: tb.Rolling, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return t[inside], doc[inside]
 
 
+def _lowest(roll: tb.Rolling, reach: int) -> np.ndarray:
+    """For each position the first of the lowest trigger hashes from it to `reach` further on: where
+    no trigger is near, this takes its place, and like it depends on the window's bytes alone."""
+    n = max(len(roll.sums) - W, 1)
+    h = np.zeros(n, dtype=np.uint64)
+    h[: len(roll.sums) - W] = tb.mix((roll.sums[W:] - roll.sums[: len(roll.sums) - W]) * roll.back[: len(roll.sums) - W])
+    low = (h >> np.uint64(32) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
+    span = 1
+    while 2 * span <= reach + 1:
+        low[: n - span] = np.minimum(low[: n - span], low[span:])
+        span *= 2
+    rest = reach + 1 - span
+    if rest and n > rest:
+        low[: n - rest] = np.minimum(low[: n - rest], low[rest:])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _phrases(roll, t, doc):
     """Starts, ends and hashes of phrases, and the text of each."""
     same = np.flatnonzero(doc[1:] == doc[:-1])
@@ -103,7 +122,7 @@ def _spans_of(docs, s, e):
     return docs[begin], s[begin], np.maximum.reduceat(e, begin)
 
 
-CONTEXT = "slot bigint, doc_id bigint, th bigint, at int, lo int, hi int, left binary, right binary, s int, e int"
+CONTEXT = "slot bigint, test bigint, doc_id bigint, th bigint, at int, lo int, hi int, left binary, right binary, s int, e int"
 
 
 def _stretches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -148,10 +167,11 @@ def _contexts(length: int):
                 k = np.searchsorted(t, p)
                 anchor = np.where(k < len(t), t[np.minimum(k, max(len(t) - 1, 0))] if len(t) else n + length, n + length)
                 far = anchor - p > cap
-                anchor = np.where(far, p, anchor)
+                if far.any():
+                    anchor[far] = _lowest(rolls[0], cap)[p[far]]
                 # Candidates of one anchor lie side by side: [lo, hi] bytes before it.
                 fresh = np.ones(len(p), dtype=bool)
-                fresh[1:] = (anchor[1:] != anchor[:-1]) | far[1:] | far[:-1]
+                fresh[1:] = anchor[1:] != anchor[:-1]
                 begin = np.flatnonzero(fresh)
                 last = np.append(begin[1:], len(p)) - 1
                 at, own = anchor[begin], own[begin]
@@ -168,19 +188,28 @@ def _contexts(length: int):
                 ask = np.sort(order[new])
                 d, s, e = _spans_of(own[several], (at - hi)[several], stop[several])
                 ids, th = b.column("doc_id"), b.column("th")
-                slot = rolls[0].of(at[ask], at[ask] + length - cap)
+                # Windows that begin `level` to `level` + STEP - 1 bytes before the anchor have the bytes
+                # from `level` before it in common; what differs is up to STEP - 1 bytes on either side.
+                core = length - STEP + 1
+                rows = [(ask[(lo[ask] < level + STEP) & (hi[ask] >= level)], level) for level in range(0, cap + 1, STEP)]
+                level = np.concatenate([np.full(len(r), k) for r, k in rows])
+                ask = np.concatenate([r for r, _ in rows])
+                near, off = np.maximum(lo[ask], level) - level, np.minimum(hi[ask], level + STEP - 1) - level
+                mid = at[ask] - level
+                slot, test = (tb.mix(r.of(mid, mid + core) + level.astype(np.uint64)) for r in rolls)
                 none = pa.nulls(len(s), pa.int32())
                 i32 = lambda x: pa.array(x.astype(np.int32))
                 yield pa.record_batch(
                     [
                         pa.array(np.concatenate([slot, tb.mix(np.arange(len(s), dtype=np.uint64) + h[0].sum(dtype=np.uint64))]).view(np.int64)),
+                        pa.array(np.concatenate([test, np.zeros(len(s), dtype=np.uint64)]).view(np.int64)),
                         ids.take(pa.array(np.concatenate([own[ask], d]))),
                         th.take(pa.array(np.concatenate([own[ask], d]))),
-                        pa.concat_arrays([i32((at - offsets[own])[ask]), none]),
-                        pa.concat_arrays([i32(lo[ask]), none]),
-                        pa.concat_arrays([i32(hi[ask]), none]),
-                        pa.concat_arrays([_stretches(data, (at - hi)[ask], at[ask]), pa.nulls(len(s), pa.binary())]),
-                        pa.concat_arrays([_stretches(data, at[ask], stop[ask]), pa.nulls(len(s), pa.binary())]),
+                        pa.concat_arrays([i32(mid - offsets[own[ask]]), none]),
+                        pa.concat_arrays([i32(near), none]),
+                        pa.concat_arrays([i32(off), none]),
+                        pa.concat_arrays([_stretches(data, mid - off, mid), pa.nulls(len(s), pa.binary())]),
+                        pa.concat_arrays([_stretches(data, mid + core, mid + length - near), pa.nulls(len(s), pa.binary())]),
                         pa.concat_arrays([pa.nulls(len(ask), pa.int32()), i32(s - offsets[d])]),
                         pa.concat_arrays([pa.nulls(len(ask), pa.int32()), i32(e - offsets[d])]),
                     ],
@@ -216,13 +245,14 @@ def _order(m: np.ndarray, sizes: np.ndarray, slot: np.ndarray, width: int) -> tu
     return order, shared
 
 
-def _repeated(slot, lo, hi, left, right, length):
-    """For each context the smallest and largest distance before its anchor at which the window has an equal; -1 if none."""
-    n, cap = len(slot), length // 2
-    m, sizes = _matrix(left, cap, True)
-    by_left, shared_left = _order(m, sizes, slot, cap)
-    m, sizes = _matrix(right, length, False)
-    by_right, shared_right = _order(m, sizes, slot, length)
+def _repeated(slot, test, lo, hi, left, right):
+    """For each row the smallest and largest distance (from 0 to STEP - 1, on top of its level) at which the window has an equal; -1 if none."""
+    n, width = len(slot), STEP - 1
+    block = np.unique(np.stack([slot, test]), axis=1, return_inverse=True)[1].ravel()
+    m, sizes = _matrix(left, width, True)
+    by_left, shared_left = _order(m, sizes, block, width)
+    m, sizes = _matrix(right, width, False)
+    by_right, shared_right = _order(m, sizes, block, width)
     del m
     least, most = np.full(n, -1), np.full(n, -1)
     name_left, name_right = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
@@ -231,7 +261,7 @@ def _repeated(slot, lo, hi, left, right, length):
         if len(use) < 2:
             continue
         name_left[by_left] = np.cumsum(shared_left < back)
-        name_right[by_right] = np.cumsum(shared_right < length - back)
+        name_right[by_right] = np.cumsum(shared_right < width - back)
         name = name_left[use] * (n + 1) + name_right[use]
         order = np.argsort(name)
         same = name[order][1:] == name[order][:-1]
@@ -257,7 +287,7 @@ def _combine(length: int):
         if table.num_rows:
             col = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
             at = col("at")
-            least, most = _repeated(col("slot"), col("lo"), col("hi"), table["left"], table["right"], length)
+            least, most = _repeated(col("slot"), col("test"), col("lo"), col("hi"), table["left"], table["right"])
             hit = np.flatnonzero(least >= 0)
             take = pa.array(hit)
             out.append(pa.table([table["doc_id"].take(take), table["th"].take(take), pa.array((at - most)[hit].astype(np.int32)), pa.array((at - least + length)[hit].astype(np.int32))], names=["doc_id", "th", "s", "e"]))

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -25,6 +25,10 @@ M, ROWS, BASE, RATE, TOP = 64, 4, 1.001, 20.0, 65535
 SLACK = 0.25
 #: Members that one task compares with their hub before the hub's group is split further.
 GROUP = 2000
+#: Ids that are sent to all executors at most (8 bytes each); more are joined by shuffling the texts.
+FEW = 500_000
+#: Turns of comparing buckets with a hub before all their remaining pairs are compared.
+MOST_TURNS = 8
 
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -147,7 +151,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, share: int
         pairs = pairs.join(side.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}")), c)
     likely = common.stored(pairs.mapInArrow(_likely(share / 100), "a bigint, b bigint"), "likely")
     need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = common.stored(texts.join(need, "doc_id", "left_semi"), "texts")
+    need = common.stored(need, "need")
+    few = need.count() <= FEW
+    texts = common.stored(texts.join(F.broadcast(need) if few else need, "doc_id", "left_semi"), "texts")
     split = likely.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     hubs = (
         split.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -169,10 +175,11 @@ def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", te
     sets are similar to at least share per cent are linked, components take their smallest doc_id.
 
     Equal sets are one class. In every band bucket the classes are first compared with the
-    bucket's smallest; once these links have formed components, the members of a bucket that
-    still lie in different components are compared with each other. Comparisons inside a
-    component can't change the result, so leaving them out loses nothing, and a bucket of any
-    number of near copies costs about one comparison a member.
+    one that meets most others in all its buckets. While the links found so far leave many pairs of a bucket in different
+    components, another member of it is compared with all of other components; at last all pairs
+    that lie in different components are. Comparisons inside a component can't change the result,
+    so leaving them out loses nothing, and a bucket of any number of near copies costs a few
+    comparisons a member.
 
     Null and empty texts have no shingles and link with nothing. Rows with the same doc_id are one
     node, whatever their texts. Rows without doc_id link with nothing and get null component_id and
@@ -188,26 +195,53 @@ def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", te
     )
     classes = common.stored(classes, "classes")
     rows = classes.select(F.explode("bands").alias("band"), F.col("doc_id").alias("b"))
-    bucket = rows.groupBy("band").agg(F.min("b").alias("a"), F.max("b").alias("z")).where("a < z")
-    inside = common.stored(rows.join(bucket, "band").select("band", "a", "b"), "buckets")
+    crowd = rows.groupBy("band").agg(F.count("*").alias("crowd")).where("crowd > 1")
+    rows = common.stored(rows.join(crowd, "band"), "buckets")
+    # The text in the middle of a group of near copies meets more of them than any copy does.
+    middle = rows.groupBy("b").agg(F.sum("crowd").alias("weight"))
+    inside = common.stored(rows.drop("crowd").join(middle, "b"), "buckets")
+    hub = inside.groupBy("band").agg(F.max_by("b", F.struct("weight", -F.col("b"))).alias("a"))
+    first = inside.join(hub, "band").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     texts = base.where("doc_id is not null and text is not null")
     held = sk.where("doc_id is not null").join(classes.select("h1", "h2", F.col("doc_id").alias("node")), ["h1", "h2"])
     several = held.groupBy("doc_id").agg(F.min("node").alias("p"), F.max("node").alias("q")).where("p < q")
     ties = held.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    hubs = common.stored(confirmed(inside.where("a < b").select("a", "b").distinct(), texts, classes, share).union(ties), "links")
-    parts = connected = common.connected_components(hubs)
-    rows = inside.join(parts.withColumnRenamed("node", "b"), "b", "left").select("band", "a", "b", F.coalesce("component", "b").alias("part"))
-    mixed = rows.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2")
-    rows = rows.join(mixed.select("band"), "band", "left_semi")
-    left, right = (rows.select("band", F.col("b").alias(x), F.col("part").alias(f"part_{x}"), F.col("a").alias(f"hub_{x}")) for x in ("x", "y"))
-    across = left.join(right, "band").where("x < y and part_x <> part_y and x <> hub_x").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
-    across = common.stored(across, "across")
-    if not across.isEmpty():
-        more = common.stored(confirmed(across, texts, classes, share), "links")
-        connected = common.connected_components(hubs.union(more))
+    hubs = common.stored(confirmed(first, texts, classes, share).union(ties), "links")
+    found, connected = hubs, common.connected_components(hubs)
+    for turn in range(MOST_TURNS):
+        rows = inside.join(connected.withColumnRenamed("node", "b"), "b", "left").select("band", "b", F.coalesce("component", "b").alias("part"))
+        sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n")).groupBy("band").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.count("*").alias("parts"))
+        mixed = sizes.where("parts > 1 and n > 2").withColumn("pairs", (F.col("n") * F.col("n") - F.col("squares")) / 2)
+        rows = common.stored(rows.join(mixed.select("band", "n", "pairs"), "band"), "mixed")
+        members, pairs = rows.agg(F.count("*"), F.sum(F.col("pairs") / F.col("n"))).first()
+        if not members:
+            break
+        last = pairs <= 4 * members or turn == MOST_TURNS - 1
+        if last:  # all pairs that lie in different components
+            left, right = (rows.select("band", F.col("b").alias(x), F.col("part").alias(f"part_{x}")) for x in ("x", "y"))
+            pairs = left.join(right, "band").where("x < y and part_x <> part_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        else:  # another hub for each bucket
+            hub = rows.groupBy("band").agg(F.min_by(F.struct(F.col("b").alias("a"), F.col("part").alias("hub_part")), F.xxhash64("b", F.lit(turn))).alias("x")).select("band", "x.*")
+            pairs = rows.join(hub, "band").where("part <> hub_part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more = common.stored(confirmed(pairs.distinct(), texts, classes, share), "links")
+        found = found.union(more)
+        connected = common.connected_components(found)
+        if last:
+            break
     members = sk.join(classes.select("h1", "h2", F.col("doc_id").alias("node")), ["h1", "h2"], "left")
     return (
         members.join(connected, "node", "left")
         .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id") == F.col("component_id"))
     )
+
+
+def one_of_each(docs: DataFrame, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Those rows of docs, with all columns, that near_duplicates() keeps; of rows with one doc_id, the one
+    whose text has the least hash. Rows without doc_id stay."""
+    kept = near_duplicates(docs, share, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(own, F.col(f"`{id_col}`").cast("bigint").alias("id"), F.xxhash64(f"`{text_col}`").alias("text_hash"))
+    found = rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi")
+    found = found.withColumn("turn", F.row_number().over(Window.partitionBy("id").orderBy("text_hash"))).where("turn = 1").select("row")
+    return found.union(rows.where("id is null").select("row")).select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -155,7 +155,8 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, id_col: str = "vec_
 
     Vectors that are null, zero, or hold a null or non-finite component, and those without label or
     vec_id, link with nothing. Vectors of different lengths don't either. Rows that repeat a vec_id
-    count as vectors of their own; their components join through it. Extra columns are ignored.
+    with equal vectors count as vectors of their own; with different vectors they are one node, whose
+    links add up and whose components join. Extra columns are ignored.
     """
     base = vectors.select(F.col(f"`{id_col}`").cast("bigint").alias("vec_id"), F.col(f"`{label_col}`").cast("bigint").alias("label"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
     hashed = common.stored(base.where("vec_id is not null").mapInArrow(_hashed, VECTOR), "vectors")

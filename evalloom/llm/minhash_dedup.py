@@ -25,6 +25,8 @@ M, ROWS, BASE, RATE, TOP = 64, 4, 1.001, 20.0, 65535
 SLACK = 0.25
 #: Members that one task compares with their hub before the hub's group is split further.
 GROUP = 2000
+#: Members of a band that one block holds when those of different components are compared.
+BLOCK = 512
 #: Ids that are sent to all executors at most (8 bytes each); more are joined by shuffling the texts.
 FEW = 500_000
 #: Turns of comparing buckets with a hub before all their remaining pairs are compared.
@@ -170,6 +172,106 @@ def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, share: int
     return rows.mapInArrow(_confirm(share), "a bigint, b bigint")
 
 
+def _cells(batches, need):
+    """The rows of each cell (band, i, j), which come sorted by cell, as one table with row numbers."""
+    open_, key = [], None
+    for batch in batches:
+        keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "i", "j")), strict=True))
+        at = 0
+        while at < len(keys):
+            end = at
+            while end < len(keys) and keys[end] == keys[at]:
+                end += 1
+            if keys[at] != key:
+                if open_:
+                    yield key, pa.Table.from_batches(open_)
+                open_, key = [], keys[at]
+            open_.append(batch.slice(at, end - at).select(need))
+            at = end
+    if open_:
+        yield key, pa.Table.from_batches(open_)
+
+
+def _partners(cell: tuple, t: pa.Table, threshold: float):
+    """For each row of a cell, the later rows of other components that the sketches leave as partners,
+    where this cell is the first one that holds both."""
+    i, j = cell[1:]
+    regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, M)
+    n, part, block, at = (t.column(c).to_numpy() for c in ("n_shingles", "part", "block", "at"))
+    for x in range(len(n) - 1):
+        y = np.arange(x + 1, len(n))
+        y = y[(part[y] != part[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
+        if i != j:
+            y = y[block[y] != block[x]]
+        same = (regs[y] == regs[x]).reshape(len(y), M // ROWS, ROWS) if len(y) else np.zeros((0, M // ROWS, ROWS), bool)
+        y = y[same.all(2)[:, : at[x]].sum(1) == 0]
+        if len(y):
+            one = np.broadcast_to(regs[x], (len(y), M))
+            y = y[joint_estimate(regs[y], one, n[y].astype(float), np.full(len(y), float(n[x]))) >= threshold - SLACK]
+        yield x, y
+
+
+CELL = ["b", "part", "block", "at", "n_shingles", "registers"]
+
+
+def _hopeful(threshold: float):
+    def run(batches):
+        for key, t in _cells(batches, CELL):
+            keep = np.zeros(t.num_rows, bool)
+            for x, y in _partners(key, t, threshold):
+                keep[y] = True
+                keep[x] |= len(y) > 0
+            b = t.column("b").filter(pa.array(keep)).combine_chunks()
+            yield pa.record_batch([*(pa.array([k] * len(b), kind) for k, kind in zip(key, (pa.int64(), pa.int32(), pa.int32()), strict=True)), b], names=["band", "i", "j", "b"])
+
+    return run
+
+
+def _linked(share: int):
+    """Links on the whole sets; parts that a cell has joined already need no other link from it."""
+
+    def run(batches):
+        for key, t in _cells(batches, [*CELL, "text"]):
+            sets = []
+            for piece in t.select(["text"]).combine_chunks().to_batches():
+                for b in tb.pieces(piece):
+                    h, first = tb.shingle_sets(b.column("text"))
+                    sets += [h[first[k] : first[k + 1]] for k in range(b.num_rows)]
+            ids, part = t.column("b").to_numpy(), t.column("part").to_numpy().copy()
+            out = []
+            for x, ys in _partners(key, t, share / 100):
+                for y in ys:
+                    if part[x] != part[y]:
+                        both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                        if 100 * both >= share * (len(sets[x]) + len(sets[y]) - both):
+                            out.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                            part[part == part[y]] = part[x]
+            yield pa.record_batch([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def separated(rows: DataFrame, texts: DataFrame, classes: DataFrame, share: int) -> DataFrame:
+    """Links (a, b) between the members of each band (band, b, part, n) that lie in different parts.
+
+    A band's members are dealt into blocks, and each two blocks meet in a cell, so a task holds two
+    blocks at most. Sketches alone tell which members need their texts there; pairs stay inside the
+    task, and a pair that meets in several bands is compared in the first of them.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = rows.select("band", "b", "part", blocks.alias("blocks"), F.pmod(F.xxhash64("b"), blocks).cast("int").alias("block"))
+    dealt = dealt.join(classes.select(F.col("doc_id").alias("b"), "n_shingles", "registers", "bands"), "b")
+    dealt = dealt.select("band", "b", "part", "block", "blocks", "n_shingles", "registers", (F.expr("array_position(bands, band)") - 1).cast("int").alias("at"))
+    cells = dealt.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *CELL)
+    order = ("band", "i", "j")
+    sorted_ = cells.repartition(*order).sortWithinPartitions(*order, "b")
+    need = common.stored(sorted_.mapInArrow(_hopeful(share / 100), "band bigint, i int, j int, b bigint"), "hopeful")
+    some = texts.join(need.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), "text")
+    full = cells.join(need, [*order, "b"]).join(some, "b").select(*order, *CELL, "text")
+    return full.repartition(*order).sortWithinPartitions(*order, "b").mapInArrow(_linked(share), "a bigint, b bigint").distinct()
+
+
 def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs: texts whose five-word shingle
     sets are similar to at least share per cent are linked, components take their smallest doc_id.
@@ -218,12 +320,11 @@ def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", te
             break
         last = pairs <= 4 * members or turn == MOST_TURNS - 1
         if last:  # all pairs that lie in different components
-            left, right = (rows.select("band", F.col("b").alias(x), F.col("part").alias(f"part_{x}")) for x in ("x", "y"))
-            pairs = left.join(right, "band").where("x < y and part_x <> part_y").select(F.col("x").alias("a"), F.col("y").alias("b"))
+            more = common.stored(separated(rows, texts, classes, share), "links")
         else:  # another hub for each bucket
             hub = rows.groupBy("band").agg(F.min_by(F.struct(F.col("b").alias("a"), F.col("part").alias("hub_part")), F.xxhash64("b", F.lit(turn))).alias("x")).select("band", "x.*")
             pairs = rows.join(hub, "band").where("part <> hub_part").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more = common.stored(confirmed(pairs.distinct(), texts, classes, share), "links")
+            more = common.stored(confirmed(pairs.distinct(), texts, classes, share), "links")
         found = found.union(more)
         connected = common.connected_components(found)
         if last:

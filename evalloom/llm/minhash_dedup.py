@@ -29,8 +29,8 @@ GROUP = 2000
 BLOCK = 512
 #: Ids that are sent to all executors at most (8 bytes each); more are joined by shuffling the texts.
 FEW = 500_000
-#: Turns of comparing buckets with a hub before all their remaining pairs are compared.
-MOST_TURNS = 8
+#: Turns of comparing buckets with a hub, the last of which compares all their remaining pairs, in blocks.
+MOST_TURNS = 2
 
 _rng = np.random.Generator(np.random.PCG64(7))
 FACTORS = _rng.integers(1, 2**63, M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", te
     Equal sets are one class. In every band bucket the classes are first compared with the
     one that meets most others in all its buckets. While the links found so far leave many pairs of a bucket in different
     components, another member of it is compared with all of other components; at last all pairs
-    that lie in different components are. Comparisons inside a component can't change the result,
+    that lie in different components are, in blocks. Comparisons inside a component can't change the result,
     so leaving them out loses nothing, and a bucket of any number of near copies costs a few
     comparisons a member.
 

@@ -85,7 +85,13 @@ def linked(rows, share):
     return sorted(((i, len(s), None if i is None else root(i)) for i, s in sets), key=str)
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize(("block", "turns"), [(512, 2), (7, 1)])
+def test_near_duplicates(spark, monkeypatch, block, turns):
+    """With bands of one block, and of many that meet two by two."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", block)
+    monkeypatch.setattr(minhash_dedup, "MOST_TURNS", turns)
+    separated, most = minhash_dedup.separated, []
+    monkeypatch.setattr(minhash_dedup, "separated", lambda rows, *rest: most.append(rows.agg(F.max("n")).first()[0]) or separated(rows, *rest))
     rng = random.Random(3)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(4)) for _ in range(300)]
     base = [rng.choice(vocabulary) for _ in range(120)]
@@ -100,6 +106,7 @@ def test_near_duplicates(spark):
         got = minhash_dedup.near_duplicates(frame(spark, rows), share).collect()
         assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == linked(rows, share)
         assert all(r.kept == (r.doc_id == r.component_id) for r in got if r.doc_id is not None)
+    assert max(most) > 2 * 7 if block == 7 else most
 
 
 def test_sketches_merge_and_estimate():

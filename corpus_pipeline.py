@@ -37,7 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents placed in sequences of 2048 tokens."""
-    return packing.pack(docs, queries.tokenizer_file(), 2048)
+    return packing.pack(docs, queries.tokenizer_file(), 2048, encode_special_tokens=False)
 
 
 STAGES = [

@@ -39,9 +39,10 @@ class Tokens:
     """A byte-level vocabulary file of the tokenizers library, encoded through tiktoken's faster core.
 
     A space before a character that is no white space always begins a token, so the text between two
-    such spaces is encoded on its own, once for many."""
+    such spaces is encoded on its own, once for many. The file's added tokens are split off before, as in that
+    library; with encode_special_tokens the special ones among them are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, encode_special_tokens: bool = True):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
@@ -52,6 +53,10 @@ class Tokens:
         ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if len(token) == 1 or token in made}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.encoding = tiktoken.Encoding("bytes", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.added = {t["content"]: t["id"] for t in spec.get("added_tokens") or () if not (encode_special_tokens and t["special"])}
+        if any(t[k] for t in spec.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError(f"{path}: added tokens that take in or need white space are not supported")
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.uneven = re.compile(r" (?:\s|$)").search
         self.seen: dict[str, bytes] = {}
 
@@ -60,6 +65,15 @@ class Tokens:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
+        if self.split is None or not (marks := list(self.split.finditer(text))):
+            return self._ordinary(text)
+        out, begin = [], 0
+        for m in marks:
+            out += [self._ordinary(text[begin : m.start()]), np.array([self.added[m[0]]], dtype="<u4").tobytes()]
+            begin = m.end()
+        return b"".join([*out, self._ordinary(text[begin:])])
+
+    def _ordinary(self, text: str) -> bytes:
         if len(self.seen) > REMEMBERED:
             self.seen = {}
         if self.uneven(text):
@@ -81,13 +95,14 @@ class Tokens:
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
-def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, ids (little-endian unsigned 32-bit) of the pieces
-    of every row of docs, each followed by end_id: full sequences, then the rest. Null is empty."""
+    of every row of docs, each followed by end_id: full sequences, then the rest. Null is empty.
+    encode_special_tokens is the tokenizers library's setting of that name, which is False there."""
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        tokens = Tokens(path)
+        tokens = Tokens(path, encode_special_tokens)
         for whole in batches:
             for b in tb.pieces(whole, most=1 << 20):
                 rows = []
@@ -182,8 +197,8 @@ def packed(found: DataFrame, size: int = 2048) -> DataFrame:
     return ranked.select(*names, (F.col("first") + F.col("rank") - 1).alias("rank")).mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", encode_special_tokens: bool = True) -> DataFrame:
     """pieces() of every row of docs, packed(). doc_ids may be null or repeated; each row is a document
     of its own. Equal pieces (of the same doc_id, start and ids) may change places. No rows give no
     sequences. The ids themselves are left out here; pieces() has them."""
-    return packed(common.stored(pieces(docs, path, size, end_id, False, id_col, text_col).drop("ids"), "pieces"), size)
+    return packed(common.stored(pieces(docs, path, size, end_id, False, id_col, text_col, encode_special_tokens).drop("ids"), "pieces"), size)

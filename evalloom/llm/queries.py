@@ -52,7 +52,7 @@ def tokenizer_file() -> str:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), 2048)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file(), 2048, encode_special_tokens=False)
 
 
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

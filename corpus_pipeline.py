@@ -14,8 +14,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, or no letter) go."""
-    found = language_id.identify(docs.select(*COLUMNS), language_id.trained(docs))
+    """Documents in which no language can be told (no text, or no letter) go; these alone go where no
+    label is left to learn from."""
+    model = language_id.trained(docs)
+    if model is None:
+        return language_id.with_letters(docs.select(*COLUMNS))
+    found = language_id.identify(docs.select(*COLUMNS), model)
     return found.where("lang_pred <> 'und'").select(*COLUMNS)
 
 

@@ -168,6 +168,16 @@ def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> Da
     return docs.mapInArrow(run, out)
 
 
+def with_letters(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of docs whose text has a letter, with all columns."""
+
+    def run(batches):
+        for b in _bounded(batches, text_col):
+            yield b.filter(pa.array(_letters(b.column(text_col)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def trained(docs: DataFrame) -> Model | None:
     """A model from all documents but the held-out ones (crc32(doc_id as text) mod 5 = 0)."""
     return fit(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang").where(common.remainder(F.col("doc_id")) != 0))

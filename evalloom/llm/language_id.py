@@ -121,18 +121,20 @@ def _sampled(batches):
 
 def fit(labelled: DataFrame) -> Model | None:
     """A model from (doc_id, text, lang): of each language the PER_LANGUAGE texts with the least hash of
-    doc_id, fewer if there are so many languages that the sample would pass IN_ALL. None without labels."""
+    doc_id (equal rows count once), fewer if there are so many languages that the sample would pass IN_ALL. None without labels."""
     labelled = labelled.where("lang is not null and text is not null")
     named = labelled.select("doc_id", "lang")
     n = named.select(F.countDistinct("lang")).first()[0]
     if not n:
         return None
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    least = named.withColumn("i", F.row_number().over(order)).where(F.col("i") <= max(1, min(PER_LANGUAGE, IN_ALL // n)))
-    ids = F.broadcast(least.select("doc_id", "lang").distinct())  # IN_ALL rows at most, or a row a language
-    same = (labelled["doc_id"].eqNullSafe(ids["doc_id"])) & (labelled["lang"] == ids["lang"])
-    rows = labelled.join(ids, same, "left_semi").select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
-    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["x"])))[: 4 * IN_ALL + n]
+    most = max(1, min(PER_LANGUAGE, IN_ALL // n))
+    labelled = labelled.select("doc_id", "lang", F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "key")
+    chosen = labelled.select("doc_id", "lang", "key").distinct().withColumn("i", F.row_number().over(order)).where(F.col("i") <= most)
+    ids = F.broadcast(chosen.drop("i"))  # IN_ALL rows at most, or a row a language
+    same = (labelled["doc_id"].eqNullSafe(ids["doc_id"])) & (labelled["lang"] == ids["lang"]) & (labelled["key"] == ids["key"])
+    rows = labelled.join(ids, same, "left_semi").dropDuplicates(["doc_id", "lang", "key"]).select("lang", "text").mapInArrow(_sampled, "lang string, x binary").collect()
+    rows = sorted(rows, key=lambda r: (r["lang"], bytes(r["x"])))
     return Model(np.frombuffer(b"".join(r["x"] for r in rows), dtype=np.float32).reshape(len(rows), -1), [r["lang"] for r in rows])
 
 

@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from . import common
 from . import textbytes as tb
 
-#: Registers, rows of a band, base and rate of the sketch, largest register value.
+#: Registers, rows of a band at most, base and rate of the sketch, largest register value.
 M, ROWS, BASE, RATE, TOP = 64, 4, 1.001, 20.0, 65535
+#: Chance that two texts at the threshold, without others near them, share no band: at most this.
+MISS = 1e-5
 #: Candidates are confirmed when the estimate is no further than this below the threshold:
 #: five standard errors of an estimate from 64 registers near 0.85.
 SLACK = 0.25
@@ -70,38 +72,50 @@ def joint_estimate(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarra
     return np.take_along_axis(j, fit.argmax(1)[:, None], 1)[:, 0]
 
 
-def _sketch(batches):
-    ints = np.arange(M // ROWS, dtype=np.uint64)
-    for whole in batches:
-        for batch in tb.pieces(whole):
-            h, first = tb.shingle_sets(batch.column("text"))
-            sizes = np.diff(first)
-            regs = registers(h, first)
-            sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (tb.mix(h * np.uint64(3) + np.uint64(1)), tb.mix(h ^ np.uint64(0x2545F4914F6CDD1D)))]
-            set_hash = [s[first[1:]] - s[first[:-1]] for s in sums]
-            key = np.zeros((len(sizes), M // ROWS), dtype=np.uint64)
-            for r in range(ROWS):
-                key = key * np.uint64(0x9FB21C651E98DF25) + regs[:, r::ROWS].astype(np.uint64) + np.uint64(1)
-            key = tb.mix(key * np.uint64(64) + ints[None, :]).view(np.int64)
-            yield pa.record_batch(
-                [
-                    batch.column("doc_id"),
-                    pa.array(sizes, pa.int64()),
-                    pa.array(set_hash[0].view(np.int64)),
-                    pa.array(set_hash[1].view(np.int64)),
-                    pa.array([x.tobytes() for x in regs], pa.binary()),
-                    pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * key.shape[1], pa.array(key.ravel())),
-                ],
-                names=["doc_id", "n_shingles", "h1", "h2", "registers", "bands"],
-            )
+def band_rows(share: int) -> int:
+    """Registers of a band: as many as the threshold allows, which leaves a pair at it a chance of at
+    most MISS to share no band. 4 (7e-6) at 0.85, 3 (3e-7) at 0.8; 1 where no number will do, under 0.17."""
+    s = share / 100
+    return next((r for r in range(ROWS, 0, -1) if (1 - s**r) ** (M // r) <= MISS), 1)
+
+
+def _sketch(per_band: int):
+    bands = M // per_band
+
+    def run(batches):
+        ints = np.arange(bands, dtype=np.uint64)
+        for whole in batches:
+            for batch in tb.pieces(whole):
+                h, first = tb.shingle_sets(batch.column("text"))
+                sizes = np.diff(first)
+                regs = registers(h, first)
+                sums = [np.concatenate([[np.uint64(0)], np.cumsum(x)]) for x in (tb.mix(h * np.uint64(3) + np.uint64(1)), tb.mix(h ^ np.uint64(0x2545F4914F6CDD1D)))]
+                set_hash = [s[first[1:]] - s[first[:-1]] for s in sums]
+                key = np.zeros((len(sizes), bands), dtype=np.uint64)
+                for r in range(per_band):
+                    key = key * np.uint64(0x9FB21C651E98DF25) + regs[:, r : bands * per_band : per_band].astype(np.uint64) + np.uint64(1)
+                key = tb.mix(key * np.uint64(64) + ints[None, :]).view(np.int64)
+                yield pa.record_batch(
+                    [
+                        batch.column("doc_id"),
+                        pa.array(sizes, pa.int64()),
+                        pa.array(set_hash[0].view(np.int64)),
+                        pa.array(set_hash[1].view(np.int64)),
+                        pa.array([x.tobytes() for x in regs], pa.binary()),
+                        pa.ListArray.from_arrays(np.arange(len(sizes) + 1, dtype=np.int32) * key.shape[1], pa.array(key.ravel())),
+                    ],
+                    names=["doc_id", "n_shingles", "h1", "h2", "registers", "bands"],
+                )
+
+    return run
 
 
 SKETCH = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, registers binary, bands array<bigint>"
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 80) -> DataFrame:
     """One row per text: set size, a 128-bit hash of the set, registers and band keys."""
-    return common.documents(docs, id_col, text_col).mapInArrow(_sketch, SKETCH)
+    return common.documents(docs, id_col, text_col).mapInArrow(_sketch(band_rows(share)), SKETCH)
 
 
 def _likely(threshold: float):
@@ -196,6 +210,8 @@ def _partners(cell: tuple, t: pa.Table, threshold: float):
     """For each row of a cell, the later rows of other components that the sketches leave as partners,
     where this cell is the first one that holds both."""
     i, j = cell[1:]
+    per_band = band_rows(round(100 * threshold))
+    bands = M // per_band
     regs = np.frombuffer(b"".join(t.column("registers").to_pylist()), dtype=np.uint16).reshape(-1, M)
     n, part, block, at = (t.column(c).to_numpy() for c in ("n_shingles", "part", "block", "at"))
     for x in range(len(n) - 1):
@@ -203,7 +219,7 @@ def _partners(cell: tuple, t: pa.Table, threshold: float):
         y = y[(part[y] != part[x]) & (np.minimum(n[y], n[x]) >= threshold * np.maximum(n[y], n[x]))]
         if i != j:
             y = y[block[y] != block[x]]
-        same = (regs[y] == regs[x]).reshape(len(y), M // ROWS, ROWS) if len(y) else np.zeros((0, M // ROWS, ROWS), bool)
+        same = (regs[y] == regs[x])[:, : bands * per_band].reshape(len(y), bands, per_band)
         y = y[same.all(2)[:, : at[x]].sum(1) == 0]
         if len(y):
             one = np.broadcast_to(regs[x], (len(y), M))
@@ -288,7 +304,7 @@ def near_duplicates(docs: DataFrame, share: int = 80, id_col: str = "doc_id", te
     kept. Extra columns are ignored.
     """
     base = common.documents(docs, id_col, text_col)
-    sk = common.stored(base.mapInArrow(_sketch, SKETCH), "sketch")
+    sk = common.stored(base.mapInArrow(_sketch(band_rows(share)), SKETCH), "sketch")
     classes = (
         sk.where("n_shingles > 0 and doc_id is not null")
         .groupBy("h1", "h2")

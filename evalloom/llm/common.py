@@ -25,7 +25,9 @@ def shared_dir(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts lineage and survives executors.
 
-    The schema is handed to the reader, so empty tables and all-null columns keep their types.
+    The schema is handed to the reader, so empty tables and all-null columns keep their types. With the
+    table written, the driver collects its dead references, on which Spark drops the shuffle files of
+    finished steps; else they would lie on the executors' disks until the driver's heap is full.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/evalloom/{name}-{uuid.uuid4().hex}"

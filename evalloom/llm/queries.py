@@ -86,7 +86,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.size(F.col("text")).alias("size"))
     out = mixing.planned(common.stored(docs, "sizes"), size_col="size")
-    return out.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken")
+    return out.select("doc_id", "size", "mix.source_size", "mix.target", "mix.taken", "mix.position")
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,16 +156,21 @@ f as (
   from t window o as (order by top / weight, source nulls last)),
 g as (select *, min(case when level * weight <= top then place end) over () as first from f),
 q as (select *, max(case when place = first then level end) over () as common_level from g),
-u as (select source, source_size, least(top::double, common_level * weight) as target from q),
+u as (select source, source_size, least(top::double, common_level * weight) as target, [-0.5, 0.0, 0.5][(r - 1) % 3 + 1]::double as lean from q),
 a as (select *, coalesce(sum(n) over (partition by source order by part rows between unbounded preceding and 1 preceding), 0)::bigint as ahead from p),
 x as (
   select d.*, coalesce(sum(size) over (partition by d.source, h[1:3] order by h, doc_id, size rows between unbounded preceding and 1 preceding), 0)::bigint as within from d),
 y as (
-  select x.*, u.source_size, u.target, a.ahead + within as start,
+  select x.*, u.source_size, u.target, u.lean, a.ahead + within as start,
     case when u.source_size > 0 then floor(u.target / u.source_size)::bigint else 0 end as rounds
   from x join a on a.source is not distinct from x.source and a.part = x.h[1:3]
-         join u on u.source is not distinct from x.source)
-select doc_id, size, source_size, target,
-  (size * (rounds + case when size > 0 and (start * 2 + size)::double <= (target - (rounds * source_size)::double) * 2 then 1 else 0 end))::bigint as taken
-from y""",
+         join u on u.source is not distinct from x.source),
+z as (
+  select *, rounds + case when size > 0 and (start * 2 + size)::double <= (target - (rounds * source_size)::double) * 2 then 1 else 0 end as copies,
+    least(1::double, (start + size / 2) / target) as share
+  from y)
+select doc_id, size, source_size, target, (size * copies)::bigint as taken,
+  case when copies > 0 and target > 0 then case when lean = 0 then share
+    else (sqrt((1 - lean) * (1 - lean) + 4 * lean * share) - (1 - lean)) / (2 * lean) end end as position
+from z""",
 }

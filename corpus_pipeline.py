@@ -24,8 +24,11 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that nearly repeat an earlier one leave the text; n_chars follows."""
+    """Lines that nearly repeat an earlier one leave the text; n_chars follows. Documents that lose a line
+    and have no word left go, as they only repeat others; those without words from the start stay."""
     out = line_dedup.remove_repeats(docs.select(*COLUMNS), 80)
+    left = F.btrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r")) != ""
+    out = out.where((F.col("n_removed") == 0) | left)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 

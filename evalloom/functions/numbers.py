@@ -30,14 +30,16 @@ def quantile(values: Column, q: float) -> Column:
 
 
 def paired_p(improved: Column, worsened: Column) -> Column:
-    """Exact two-sided binomial p-value of a paired comparison, by log factorials."""
-    n, least = improved + worsened, F.least(improved, worsened)
+    """Exact two-sided binomial p-value of a paired comparison: terms in logarithms, each from the one before."""
+    n, least = (improved + worsened).cast("double"), F.least(improved, worsened).cast("bigint")
+    first = -n * F.log(F.lit(2.0))
 
-    def log_factorial(x: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(0).cast("bigint"), x), F.lit(0.0), lambda a, i: a + F.log(F.greatest(i, F.lit(1)).cast("double")))
+    def term(a: Column, i: Column) -> Column:
+        log = a["log"] + F.log(n - i + 1) - F.log(i.cast("double"))
+        return F.struct(log.alias("log"), (a["sum"] + F.exp(log)).alias("sum"))
 
-    whole = log_factorial(n)
-    tail = F.aggregate(F.sequence(F.lit(0).cast("bigint"), least), F.lit(0.0), lambda a, i: a + F.exp(whole - log_factorial(i) - log_factorial(n - i) - n * F.log(F.lit(2.0))))
+    steps = F.when(least > 0, F.sequence(F.lit(1).cast("bigint"), least)).otherwise(F.array().cast("array<bigint>"))
+    tail = F.aggregate(steps, F.struct(first.alias("log"), F.exp(first).alias("sum")), term)["sum"]
     return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 

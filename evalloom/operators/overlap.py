@@ -14,10 +14,16 @@ def gram_rows(texts: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame
     return tokens.select("id", F.explode(text.grams(F.col("tokens"), n)).alias("gram"))
 
 
+#: Grams of a test set that are sent to all executors at most (some 100 bytes each).
+FEW = 500_000
+
+
 def overlap_pairs(tests: DataFrame, refs: DataFrame) -> DataFrame:
-    """test_id, ref_id, shared (grams in common), example (the smallest) of two sides' gram_rows()."""
+    """test_id, ref_id, shared (grams in common), example (the smallest) of two sides' gram_rows(). Where
+    the tests' grams are few they are sent to the references, whose grams then aren't shuffled."""
     t, r = tests.withColumnRenamed("id", "test_id"), refs.withColumnRenamed("id", "ref_id")
-    return t.join(r, "gram").groupBy("test_id", "ref_id").agg(F.count("*").alias("shared"), F.min("gram").alias("example"))
+    few = t.limit(FEW + 1).count() <= FEW
+    return r.join(F.broadcast(t) if few else t, "gram").groupBy("test_id", "ref_id").agg(F.count("*").alias("shared"), F.min("gram").alias("example"))
 
 
 def self_overlap_pairs(rows: DataFrame) -> DataFrame:

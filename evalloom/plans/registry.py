@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, text
-from ..operators import items, overlap, runs
+from ..operators import checks, items, overlap, runs
 from .views import table, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -664,3 +664,72 @@ def ex5_group_mean(spark, d):
 def dc6_reliability(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.bool_and(F.col("value") > 5).alias("all_ok"), F.bool_or(F.col("value") > 99).alias("any_ok"))
     return e.agg(F.count("*").alias("tasks"), F.avg(F.col("all_ok").cast("double")).alias("pass_all"), F.avg(F.col("any_ok").cast("double")).alias("pass_any"))
+
+
+# Constraints, on views that break them
+
+RUN = {"model": "base", "dtype": "bfloat16", "item_limit": 4, "device": "cuda", "batch_size": "8", "random_seed": 1, "numpy_seed": 1, "torch_seed": 1, "fewshot_seed": 1, "num_fewshot": 0, "version": "0.4", "log_version": 1, "state": "F"}
+RUN_STATE = "r as (select c.*, coalesce(n, 0) as lines from run_configs c left join (select run_id, count(*) as n from run_lines group by 1) using (run_id)), s as (select run_id, array_to_string(list_filter([" + ", ".join(f"case when {k} is distinct from {v!r} then '{k}' end" for k, v in RUN.items()) + ", case when lines <> item_limit then 'lines' end], lambda x: x is not null), ',') as differing from r)"
+
+
+def run_state(spark, d):
+    return checks.run_state(view(spark, d, "run_configs"), RUN, view(spark, d, "run_lines"), "run_id", "item_limit")
+
+
+@query(with_views("run_configs", "run_lines") + ", " + RUN_STATE + " select run_id, differing, differing = '' as complete from s")
+def fl7_run_equalities(spark, d):
+    return run_state(spark, d).select("run_id", F.array_join("differing", ",").alias("differing"), "complete")
+
+
+@query(with_views("run_configs", "run_lines") + ", " + RUN_STATE + " select o_orderkey + 100 as run_id from orders where o_orderkey + 100 not in (select run_id from s)")
+def sr5_run_matrix(spark, d):
+    """Planned runs that nothing has been made of; partial output among them would be refused."""
+    planned = table(spark, d, "orders").select((F.col("o_orderkey") + 100).alias("run_id"))
+    state = run_state(spark, d)
+    partial = state.where(~F.col("complete")).select("run_id")
+    return checks.still_to_run(planned.join(partial, "run_id", "left_anti"), state, "run_id")
+
+
+ASKED = ("question", "gold", "model", "url", "options")
+
+
+@query(with_views("asked", "given") + ", m as (select a.id, array_to_string(list_filter([" + ", ".join(f"case when a.{f} is distinct from g.{f} then '{f}' end" for f in ASKED) + "], lambda x: x is not null), ',') as differing from asked a join given g using (id)) select * from m where differing <> ''")
+def jn6_jn12_field_mismatches(spark, d):
+    out = checks.mismatches(view(spark, d, "asked"), view(spark, d, "given"), "id", *ASKED)
+    return out.select("id", F.array_join("differing", ",").alias("differing"))
+
+
+@query("select item_id as id, 'left' as side from benchmark where item_id % 3 = 0 union all select c_custkey, 'right' from customer where c_custkey not in (select item_id from benchmark)")
+def jn5_st2_orphans(spark, d):
+    right = view(spark, d, "given").select("id").union(table(spark, d, "customer").join(table(spark, d, "benchmark"), F.col("c_custkey") == F.col("item_id"), "left_anti").select("c_custkey"))
+    return checks.orphans(view(spark, d, "asked"), right, "id")
+
+
+@query(with_views("old_prompts", "new_prompts") + "select item_id, replace(n.prompt, 'Problem: ', 'Question: ') = o.prompt as same from old_prompts o join new_prompts n using (item_id)")
+def sc21_changed_prompts(spark, d):
+    return checks.changed_prompts(view(spark, d, "old_prompts"), view(spark, d, "new_prompts"), "item_id", "prompt", "Problem: ", "Question: ")
+
+
+@query("with h as (select distinct o_orderpriority as model, cast(o_custkey % 57 as int) as subject from orders where o_custkey % 57 <> length(o_orderpriority)), a as (select * from (select distinct model from h), (select distinct subject from h)) select model, list_sort(list(subject)) as missing from (select * from a except select * from h) group by 1")
+def src9_subject_sets(spark, d):
+    subject = (F.col("o_custkey") % 57).cast("int")
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("model"), subject.alias("subject")).where(subject != F.length("o_orderpriority"))
+    return checks.incomplete_sets(rows, "model", "subject")
+
+
+@query("select event_type, count(*) as n from events group by 1 having count(*) <> 570")
+def fl9_row_counts(spark, d):
+    return runs.violations(table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n")), F.col("n") != 570)
+
+
+@query(with_views("seed_scores") + 'select task, limit_n as "limit", metric, seed, 2 as n from seed_scores where seed = 2')
+def ag11_contradicting_runs(spark, d):
+    f = facts(spark, d)
+    return runs.conflicts(f.union(f).union(f.where("seed = 2").withColumn("value", F.col("value") + 1)))
+
+
+@query(with_views("mcq") + "select id, concat(trim(question), chr(10), 'A. ', trim(A), chr(10), 'B. ', trim(B), chr(10), 'C. ', trim(C), chr(10), 'D. ', trim(D), chr(10), 'Answer:') as doc_to_text, 'A,B,C,D' as doc_to_choice, case when answer in ('A', 'B', 'C', 'D') then position(answer in 'ABCD') - 1 end::int as doc_to_target from mcq")
+def sc20_task_template(spark, d):
+    letters = F.array(*map(F.lit, "ABCD"))
+    target = F.nullif(F.array_position(letters, F.col("answer")), F.lit(0)) - 1
+    return view(spark, d, "mcq").select("id", text.mcq_prompt(F.col("question"), F.array("A", "B", "C", "D")).alias("doc_to_text"), F.array_join(letters, ",").alias("doc_to_choice"), target.cast("int").alias("doc_to_target"))

@@ -30,6 +30,16 @@ VIEWS = {
     "choices_scored": """select l_orderkey * 10 + l_linenumber as id, l_linenumber % 3 as gold,
         -cast(floor(l_quantity) % 7 as double) as s0, -cast(floor(l_discount * 100) % 7 as double) as s1, -cast(floor(l_tax * 100) % 7 as double) as s2 from lineitem""",
     "sheet": "select doc_id, case when doc_id % 3 = 0 then 'logic' else '' end as category, case when doc_id % 4 = 0 then 'seen' else ' ' end as note from labels",
+    "run_configs": """select o_orderkey as run_id, case when o_custkey % 10 = 0 then 'other' else 'base' end as model, case when o_orderkey % 11 = 0 then 'float32' else 'bfloat16' end as dtype,
+        cast(case when o_orderkey % 3 = 0 then 4 else 3 end as int) as item_limit, 'cuda' as device, case when o_orderkey % 13 = 0 then null else '8' end as batch_size, cast(1 as int) as random_seed,
+        cast(case when o_orderkey % 17 = 0 then 2 else 1 end as int) as numpy_seed, cast(1 as int) as torch_seed, cast(1 as int) as fewshot_seed, cast(0 as int) as num_fewshot, '0.4' as version,
+        cast(case when o_orderkey % 19 = 0 then 0 else 1 end as int) as log_version, o_orderstatus as state from orders""",
+    "run_lines": "select l_orderkey as run_id from lineitem",
+    "asked": "select item_id as id, text as question, cast(item_id as string) as gold, 'base' as model, 'http://localhost/v1' as url, 'greedy' as options from benchmark",
+    "given": """select item_id as id, case when item_id % 7 = 0 then concat(text, ' ') else text end as question, case when item_id % 5 = 0 then null else cast(item_id as string) end as gold,
+        case when item_id % 35 = 0 then 'other' else 'base' end as model, 'http://localhost/v1' as url, case when item_id % 11 = 0 then 'n=2' else 'greedy' end as options from benchmark where item_id % 3 <> 0""",
+    "old_prompts": "select item_id, concat('Question: ', text, ' Answer:') as prompt from benchmark",
+    "new_prompts": "select item_id, concat('Problem: ', case when item_id % 7 = 0 then lower(text) else text end, case when item_id % 9 = 0 then ' Reply:' else ' Answer:' end) as prompt from benchmark",
     "new_labels": "select doc_id, case when quality = 1 then 'logic' else 'format' end as new_category, concat('toxic ', cast(toxic as string)) as new_note from labels",
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,19 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def split_results(rows: DataFrame, success_path: str, failure_path: str) -> None:
-    """Rows without error to one place, the others to another, which must differ."""
-    if success_path.rstrip("/") == failure_path.rstrip("/"):
+    """Rows without error to one place, the others to another, which must differ. Rows are made once, into
+    a folder beside the successes that goes at the end, so no request is sent twice."""
+    success, failure = success_path.rstrip("/"), failure_path.rstrip("/")
+    if success == failure:
         raise ValueError("successes and failures need different paths")
-    append_jsonl(rows.where("error is null").drop("error"), success_path)
-    append_jsonl(rows.where("error is not null"), failure_path)
+    spark = rows.sparkSession
+    whole = f"{success}-unsplit-{uuid.uuid4().hex}"
+    rows.write.parquet(whole)
+    made = spark.read.schema(rows.schema).parquet(whole)
+    append_jsonl(made.where("error is null").drop("error"), success)
+    append_jsonl(made.where("error is not null"), failure)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(whole)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def detail_document(df: DataFrame, path: str) -> None:
@@ -69,17 +79,21 @@ def manifest(samples: DataFrame, order: str, seed: int, **facts: str) -> DataFra
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a table."""
+    """A small result as a table; more than `most` rows are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows for a table in a report")
     rows = df.limit(most).select(*[text.escaped_cell(text.cell(F.col(f"`{c}`").cast("string"))).alias(c) for c in df.columns]).collect()
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join(lines + ["| " + " | ".join(r) + " |" for r in rows]) + "\n"
 
 
-def bars(df: DataFrame, label: str, value: str, width: int = 600) -> str:
-    """A small result as horizontal bars in SVG."""
+def bars(df: DataFrame, label: str, value: str, width: int = 600, most: int = 200) -> str:
+    """A small result as horizontal bars in SVG; more than `most` rows are an error."""
     from xml.sax.saxutils import escape
 
-    rows = [(str(r[0]), float(r[1] or 0)) for r in df.select(label, value).limit(200).collect()]
+    rows = [(str(r[0]), float(r[1] or 0)) for r in df.select(label, value).limit(most + 1).collect()]
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for a chart")
     top = max((v for _, v in rows), default=0) or 1
     body = "".join(f'<text x="0" y="{24 * i + 16}">{escape(k)}</text><rect x="200" y="{24 * i + 4}" width="{v / top * (width - 260):.1f}" height="16"/><text x="{205 + v / top * (width - 260):.1f}" y="{24 * i + 16}">{v:g}</text>' for i, (k, v) in enumerate(rows))
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{24 * len(rows) + 8}">{body}</svg>'

@@ -29,6 +29,8 @@ W, ONE_IN = 16, 64
 STEP = 64
 #: Windows of a block that one sort takes; blocks end between keys.
 BLOCK = 40_000
+#: Bytes of text that are looked at together; repeats among them are settled before anything is sent.
+PIECE = 1 << 21
 
 
 def _triggers(roll: tb.Rolling, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +72,7 @@ def _phrases(roll, t, doc):
 def _parse(length: int):
     def run(batches):
         for whole in batches:
-            for b in tb.pieces(whole):
+            for b in tb.pieces(whole, most=PIECE):
                 data, offsets = tb.laid_out(b.column("text"))
                 roll = tb.Rolling(data)
                 t, doc = _triggers(roll, offsets)
@@ -139,7 +141,7 @@ def _contexts(length: int):
 
     def run(batches):
         for whole in batches:
-            for b in tb.pieces(whole):
+            for b in tb.pieces(whole, most=PIECE):
                 data, offsets = tb.laid_out(b.column("text"))
                 n = len(data)
                 rolls = [tb.Rolling(data, k) for k in (0, 1)]
@@ -321,7 +323,7 @@ CUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:int,end:int>>, ke
 
 def _cut(batches):
     for whole in batches:
-        for b in tb.pieces(whole):
+        for b in tb.pieces(whole, most=PIECE):
             ids, texts, spans = b.column("doc_id"), b.column("text").cast(pa.binary()).fill_null(b"").to_pylist(), b.column("spans").to_pylist()
             merged, kept = [], []
             for text, found in zip(texts, spans, strict=True):

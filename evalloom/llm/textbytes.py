@@ -77,7 +77,7 @@ def laid_out(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0] if len(column) else np.zeros(1, np.int64)
 
 
-def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """batch in slices of about `most` bytes of text, at least a row each: bounds a worker's memory."""
     if not batch.num_rows:
         return

@@ -27,12 +27,12 @@ VECTOR = "vec_id bigint, label bigint, dim int, h1 bigint, h2 bigint, vector bin
 def shape(rows: int, least: float) -> tuple[int, int]:
     """Tables and bits for labels of up to `rows` vectors.
 
-    Two bits more than a number of the rows takes leave a vector a quarter of a chance neighbour in a
+    Four bits more than a number of the rows takes leave a vector a sixteenth of a chance neighbour in a
     table, at every size, so the candidates grow with the rows and not with their square. The tables
     follow from the bits and MISS: 24 of 14, 31 of 17, 59 of 25.
     """
     same = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1))) + 2)
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1))) + 4)
     while True:
         chance = same**bits
         tables = 1 if chance > 1 - MISS else math.ceil(math.log(MISS) / math.log1p(-chance)) if chance > 1e-12 else MOST_TABLES + 1

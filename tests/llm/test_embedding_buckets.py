@@ -15,7 +15,7 @@ def test_shape_follows_the_rows():
     same = 1 - np.arccos(0.98) / np.pi
     for rows in (0, 1, 1000, 60_000, 10**9):
         tables, bits = ed.shape(rows, 0.98)
-        assert bits >= ed.LEAST_BITS and 2**bits >= 4 * rows or not rows
+        assert bits >= ed.LEAST_BITS and (2**bits >= 16 * rows or not rows)
         assert (1 - same**bits) ** tables <= ed.MISS
     assert ed.shape(1000, 0.98) == (24, 14)
     assert ed.shape(10**6, 0.5)[0] <= ed.MOST_TABLES and ed.shape(100, 1.0)[0] == 1

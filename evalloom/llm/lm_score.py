@@ -26,8 +26,9 @@ HELD = 1 << 17
 #: Width of the vectors, noise and steps over all triples in training.
 WIDTH, NOISE, STEPS = 24, 8, 500
 #: Of a word's own vector: noise draws for each of its contexts, turns over them, weight of its prior,
-#: and steps a unit in which it is kept. FITTED rows are fitted at a time.
-WORD_NOISE, TURNS, PRIOR, STEP, FITTED = 4, 6, 8.0, 64, 200_000
+#: and steps a unit in which it is kept. FITTED rows are taken at a time; of these AT_ONCE, which a
+#: processor's cache holds, go through all turns together, as words of equally many contexts.
+WORD_NOISE, TURNS, PRIOR, STEP, FITTED, AT_ONCE = 4, 6, 8.0, 64, 200_000, 2048
 #: Distinct words that a worker gathers before it passes their counts on.
 GATHERED = 1 << 20
 END = np.uint64(0xE4D0E4D0E4D0E4D0)
@@ -218,6 +219,19 @@ def _contexts(top, top_class):
 def _vectors(shared):
     """(word, class, n, vector) of each word from its rows (word, triple, n), which come sorted by word."""
 
+    def turned(each, weight):
+        """The vectors of words of equally many contexts, each with its noise after it."""
+        wide = np.abs(each)
+        wide *= wide.sum(2, keepdims=True)  # bounds the curvature by its diagonal, so that no turn goes too far
+        weight = np.repeat(weight, WORD_NOISE + 1, axis=1)
+        true = np.arange(each.shape[1]) % (WORD_NOISE + 1) == 0
+        t = np.zeros((len(each), WIDTH + 1), dtype=np.float32)
+        for _ in range(TURNS):
+            p = 1 / (1 + WORD_NOISE * np.exp(-np.clip(np.einsum("wkd,wd->wk", each, t), -20, 20)))
+            slope = np.einsum("wk,wkd->wd", (p - true) * weight, each) + PRIOR * t
+            t -= slope / (np.einsum("wk,wkd->wd", p * (1 - p) * weight, wide) + PRIOR)
+        return t
+
     def fitted(rng, x, upto, word, code, n):
         begin = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
         of = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(word))))
@@ -232,18 +246,14 @@ def _vectors(shared):
             draws = low[:, None] + rng.random((len(k), WORD_NOISE)) * (high - low)[:, None]
             at = np.searchsorted(upto, draws, "right") - 1 - k[:, None] * CLASSES**2
             at = np.concatenate([code[tuned, None] // CLASSES, np.clip(at, 0, CLASSES**2 - 1)], axis=1)
-            each = x[at]
-            wide = np.abs(each)
-            wide *= wide.sum(2, keepdims=True)  # bounds the curvature by its diagonal, so that no turn goes too far
-            row = np.searchsorted(own, of[tuned])
+            size = np.diff(np.append(start, len(tuned)))
             t = np.zeros((len(own), WIDTH + 1), dtype=np.float32)
-            for _ in range(TURNS):
-                p = 1 / (1 + WORD_NOISE * np.exp(-np.clip(np.einsum("rkd,rd->rk", each, t[row]), -20, 20)))
-                bend = p * (1 - p) * weight[:, None]
-                p[:, 0] -= 1
-                p *= weight[:, None]
-                slope = np.add.reduceat(np.einsum("rk,rkd->rd", p, each), start) + PRIOR * t
-                t -= slope / (np.add.reduceat(np.einsum("rk,rkd->rd", bend, wide), start) + PRIOR)
+            for m in np.unique(size):
+                alike = np.flatnonzero(size == m)
+                for i in range(0, len(alike), max(1, AT_ONCE // m)):
+                    some = alike[i : i + max(1, AT_ONCE // m)]
+                    rows = start[some, None] + np.arange(m)
+                    t[some] = turned(x[at[rows]].reshape(len(some), -1, WIDTH + 1), weight[rows])
             v[own] = t
         held = np.clip(np.rint(v * STEP), -127, 127).astype(np.int8)
         vector = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(np.arange(len(held) + 1, dtype=np.int32) * (WIDTH + 1)), pa.py_buffer(held.tobytes())])

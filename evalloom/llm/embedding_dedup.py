@@ -29,7 +29,7 @@ def shape(rows: int, least: float) -> tuple[int, int]:
 
     Four bits more than a number of the rows takes leave a vector a sixteenth of a chance neighbour in a
     table, at every size, so the candidates grow with the rows and not with their square. The tables
-    follow from the bits and MISS: 24 of 14, 31 of 17, 59 of 25.
+    follow from the bits and MISS: 24 of 14, 31 of 17, 57 of 25.
     """
     same = 1 - math.acos(min(1.0, max(-1.0, least))) / math.pi
     bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1))) + 4)

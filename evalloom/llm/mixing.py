@@ -72,35 +72,46 @@ def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, size_
     inside = Window.partitionBy(*key).orderBy("hash", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     row = row.drop("source").withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(ahead, key)
     begin = F.col("ahead") + F.col("within")
-    # A copy is taken while its middle lies within the target: in every whole round, and in the last one as far as that goes.
+    # A copy's place is the demand before its middle; the inverted demand gives it a time while its place lies
+    # within the target: in every whole round, and in the last one as far as that goes.
     rounds = F.when(F.col("source_size") > 0, F.floor(F.try_divide("target", "source_size"))).otherwise(F.lit(0)).cast("bigint")
-    rest = F.col("target") - (rounds * F.col("source_size")).cast("double")
-    once_more = (begin * 2 + F.col("size")).cast("double") <= rest * F.lit(2.0)
-    copies = rounds + F.when((F.col("size") > 0) & once_more, 1).otherwise(0)
-    share = F.try_divide(begin + F.col("size") / 2, F.col("target"))
+    end = F.greatest(F.col("target"), (rounds * F.col("source_size")).cast("double"))
+
+    def time(turn: Column) -> Column:
+        place = begin + F.col("size") / 2 + turn * F.col("source_size")
+        asked = (F.col("target") > 0) & (place <= end) & ((turn < rounds) | (F.col("size") > 0))
+        return F.when(asked, time_of(F.least(F.lit(1.0), F.try_divide(place, F.col("target"))), F.col("lean")))
+
+    times = F.filter(F.transform(F.sequence(F.lit(0).cast("bigint"), rounds), time), lambda t: t.isNotNull())
+    row = row.withColumn("times", times)
     mix = F.struct(
         "size",
         F.col("source_size"),
         F.col("target"),
-        (F.col("size") * copies).alias("taken"),
-        copies.alias("copies"),
-        F.when((copies > 0) & (F.col("target") > 0), time_of(F.least(F.lit(1.0), share), F.col("lean"))).alias("position"),
+        (F.col("size") * F.size("times")).cast("bigint").alias("taken"),
+        F.size("times").cast("bigint").alias("copies"),
+        F.get("times", F.lit(0)).alias("position"),
         F.col("lean"),
-        share.alias("share"),
-        F.try_divide("source_size", "target").alias("step"),
+        F.col("times"),
     )
     return row.select("row", mix.alias("mix"))
 
 
+def _ordered(plan: DataFrame, turns: Column) -> DataFrame:
+    """row, mix, at: a row for each time of turns (an explode), range-sorted by it."""
+    # A second key lets equal positions lie in several ranges.
+    return plan.select("row", "mix", turns.alias("at")).withColumn("tie", F.xxhash64("row")).orderBy(F.col("at").asc_nulls_last(), "tie")
+
+
 def planned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, **options) -> DataFrame:
     """docs with a column `mix`: size, source_size, target, taken, copies, position (of the first copy; null
-    if there is none), lean, share (of the target before its middle), step (between copies).
+    if there is none), lean, times (the positions of all copies).
 
     A source's documents stand in the order of their hash, over and over, until its target is met; a
     copy's place in that order is a demand of tokens, and the schedule inverted there its position.
-    Copies whose place lies within the target are taken, so the last round stops with the document
-    that the target falls in the first half of or before. Each document is taken whole,
-    floor(target / source_size) times or once more.
+    Copies to which the inverted demand gives a position are taken: those whose place lies within the
+    target, so the last round stops with the document that the target falls in the first half of or
+    before. Each document is taken whole, floor(target / source_size) times or once more.
 
     A hot source is ordered in 16**DIGITS parts: sums of parts first, then documents within a part.
     Null texts and texts without words have size 0; null sources are a source; rows alike in doc_id
@@ -115,9 +126,14 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     """The rows of docs, each as often as the mix takes it, range-sorted by training position, with
     columns as in docs, whatever their names. Rows without words aren't taken in a last, partial round."""
     plan = _planned(docs, id_col, text_col, source_col, size_col, **options)
-    turns = plan.where("mix.copies > 0").select("row", "mix.share", "mix.step", "mix.lean", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("mix.copies") - 1)).alias("turn"))
-    share = F.least(F.lit(1.0), F.col("share") + F.col("turn") * F.col("step"))
-    at = F.coalesce(time_of(share, F.col("lean")), F.lit(0.0))
-    # A second key lets equal positions lie in several ranges.
-    placed = turns.select("row", at.alias("at"), F.xxhash64("row").alias("tie")).orderBy("at", "tie")
+    placed = _ordered(plan, F.explode("mix.times"))
     return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def curriculum(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", size_col: str | None = None, **options) -> DataFrame:
+    """The rows of mixed() in training order, with `mix` as in planned() and `at`, the position of this copy.
+    Rows of which no copy is taken stand once at the end, with a null position. Columns of docs named mix or at
+    are replaced."""
+    plan = _planned(docs, id_col, text_col, source_col, size_col, **options)
+    placed = _ordered(plan, F.explode_outer("mix.times"))
+    return placed.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix", "at")], "mix", "at")

@@ -20,7 +20,7 @@ from . import textbytes as tb
 #: Hashed features; labelled texts that training takes at most from one language, and in all.
 BITS, PER_LANGUAGE, IN_ALL = 12, 400, 4000
 #: Texts of a piece at most: their feature matrix is what a worker holds.
-ROWS = 512
+ROWS = 128
 
 #: ISO 639-1 codes of language families. A language outside is a family of its own.
 FAMILIES = {
@@ -109,7 +109,7 @@ class Model:
 
 def _bounded(batches, text="text"):
     for whole in batches:
-        for piece in tb.pieces(whole, text):
+        for piece in tb.pieces(whole, text, tb.SMALL):
             for i in range(0, piece.num_rows, ROWS):
                 yield piece.slice(i, ROWS)
 

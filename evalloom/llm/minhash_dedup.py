@@ -85,7 +85,7 @@ def _sketch(per_band: int):
     def run(batches):
         ints = np.arange(bands, dtype=np.uint64)
         for whole in batches:
-            for batch in tb.pieces(whole):
+            for batch in tb.pieces(whole, most=tb.SMALL):
                 h, first = tb.shingle_sets(batch.column("text"))
                 sizes = np.diff(first)
                 regs = registers(h, first)
@@ -137,7 +137,7 @@ def _confirm(share: int):
     def run(batches):
         hub, hub_set = None, None
         for whole in batches:
-            for b in tb.pieces(whole):
+            for b in tb.pieces(whole, most=tb.SMALL):
                 h, first = tb.shingle_sets(b.column("text"))
                 a, ids = b.column("hub").to_pylist(), b.column("doc_id").to_pylist()
                 member = b.column("member").to_pylist()
@@ -250,7 +250,7 @@ def _linked(share: int):
         for key, t in _cells(batches, [*CELL, "text"]):
             sets = []
             for piece in t.select(["text"]).combine_chunks().to_batches():
-                for b in tb.pieces(piece):
+                for b in tb.pieces(piece, most=tb.SMALL):
                     h, first = tb.shingle_sets(b.column("text"))
                     sets += [h[first[k] : first[k + 1]] for k in range(b.num_rows)]
             ids, part = t.column("b").to_numpy(), t.column("part").to_numpy().copy()

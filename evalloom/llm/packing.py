@@ -22,7 +22,7 @@ from . import common
 from . import textbytes as tb
 
 #: Texts between spaces whose tokens a worker remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 #: Parts in which the pieces of one length are ranked.
 PARTS = 1024
 

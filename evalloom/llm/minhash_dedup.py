@@ -160,16 +160,20 @@ def _confirm(share: int):
     return run
 
 
+def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of texts with one of these doc_ids, a stored table. Up to FEW ids are sent to the texts; Spark alone
+    would shuffle all texts as soon as the ids pass its threshold for broadcasts."""
+    need = common.stored(ids.distinct(), "need")
+    return common.stored(texts.join(F.broadcast(need) if need.count() <= FEW else need, "doc_id", "left_semi"), "texts")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, share: int) -> DataFrame:
     """Those of pairs (a, b) that the estimate and then the full sets support."""
     side = classes.select("doc_id", "n_shingles", "registers")
     for c in ("a", "b"):
         pairs = pairs.join(side.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("registers").alias(f"registers_{c}")), c)
     likely = common.stored(pairs.mapInArrow(_likely(share / 100), "a bigint, b bigint"), "likely")
-    need = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    need = common.stored(need, "need")
-    few = need.count() <= FEW
-    texts = common.stored(texts.join(F.broadcast(need) if few else need, "doc_id", "left_semi"), "texts")
+    texts = _texts_of(texts, likely.select(F.explode(F.array("a", "b")).alias("doc_id")))
     split = likely.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
     hubs = (
         split.select(F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
@@ -283,7 +287,7 @@ def separated(rows: DataFrame, texts: DataFrame, classes: DataFrame, share: int)
     order = ("band", "i", "j")
     sorted_ = cells.repartition(*order).sortWithinPartitions(*order, "b")
     need = common.stored(sorted_.mapInArrow(_hopeful(share / 100), "band bigint, i int, j int, b bigint"), "hopeful")
-    some = texts.join(need.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), "text")
+    some = _texts_of(texts, need.select(F.col("b").alias("doc_id"))).withColumnRenamed("doc_id", "b")
     full = cells.join(need, [*order, "b"]).join(some, "b").select(*order, *CELL, "text")
     return full.repartition(*order).sortWithinPartitions(*order, "b").mapInArrow(_linked(share), "a bigint, b bigint").distinct()
 

@@ -1,4 +1,5 @@
-"""Text normalisation and extraction as Columns; one Arrow UDF, for Unicode NFKC."""
+"""Text normalisation and extraction as Columns. NFKC and case folding are those of Spark's own ICU library; Arrow
+UDFs are left for texts with characters that the JVM's Unicode doesn't know."""
 
 from __future__ import annotations
 
@@ -32,14 +33,31 @@ def _beyond_ascii(t: Column) -> Column:
     return t.rlike(r"[^\x00-\x7F]")
 
 
+def _unassigned(t: Column) -> Column:
+    """Whether ICU and Python may differ: on characters that only one of them knows. What the JVM's Unicode has is
+    in both, and for such characters normalisation and folding never change."""
+    return t.rlike(r"\p{Cn}")
+
+
+def _icu(t: Column, fold: bool) -> Column:
+    out = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))
+    return F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), out, F.lit(True)) if fold else out
+
+
+def _by_icu(t: Column, udf, fold: bool, ascii: Column) -> Column:
+    """Of one text at a time, so no batch of texts is held: Python gets nulls for all but the rare ones."""
+    rare = F.coalesce(_beyond_ascii(t) & _unassigned(t), F.lit(False))
+    return F.when(rare, udf(F.when(rare, t))).when(_beyond_ascii(t), _icu(t, fold)).otherwise(ascii)
+
+
 def nfkc(t: Column) -> Column:
-    """NFKC; plain ASCII never leaves the JVM."""
-    return F.when(_beyond_ascii(t), _nfkc(F.when(_beyond_ascii(t), t))).otherwise(t)
+    """NFKC; plain ASCII stays as it is."""
+    return _by_icu(t, _nfkc, False, t)
 
 
 def folded(t: Column) -> Column:
     """NFKC and full case folding."""
-    return F.when(_beyond_ascii(t), _nfkc_fold(F.when(_beyond_ascii(t), t))).otherwise(F.lower(t))
+    return _by_icu(t, _nfkc_fold, True, F.lower(t))
 
 
 def strip(t: Column) -> Column:
